@@ -16,6 +16,7 @@ from .secret_scan import BASE, scan_secrets
 from .source_mix import mix_sources
 from .token_binary import token_binary
 from .token_count import token_counts
+from .toxicity import toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -38,6 +39,10 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -70,6 +75,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_token_binary, op5_jaccard_join, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_token_binary, op4_toxicity, op5_jaccard_join, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
