@@ -1,10 +1,82 @@
-"""Corpus preparation in five stages (filled in as the operators land)."""
+"""Corpus preparation: documents in, token shards out, in five stages.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage is ``(spark, docs, sf_dir) -> DataFrame``; what it returns is written as Parquet
+and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.llm.common import stage, table
+from pixelloom.llm.decontaminate import benchmark_hits
+from pixelloom.llm.jaccard_join import jaccard_classes
+from pixelloom.llm.source_mix import mix_sources
+from pixelloom.llm.token_binary import token_binary
+from pixelloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+#: Keys of documents to drop that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on this stage's input, does not reject."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    model = fit_toxicity(docs, labels)
+    return score_toxicity(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts that share 0.8 of their five-word shingles.
+
+    The smallest id stays. Rows that repeat an id and its text are one document; rows without
+    an id stay unless a document with one has the same words.
+    """
+    classes = stage(jaccard_classes(docs, k=5, percent=80), "pipeline")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k"), "n_shingles").distinct()
+    kept = kept.groupBy("k").agg(F.count("*").alias("versions"))
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    if classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
-def run(spark, sf_dir):
-    from pixelloom.llm.common import table
+def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of any benchmark item."""
+    hits = stage(benchmark_hits(docs, table(spark, sf_dir, "benchmark")).select("key", "mark").distinct(), "pipeline")
+    near = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    return docs.join(near, F.col("doc_id").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("mark")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, once, or twice."""
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("k")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("k"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).drop("copy_")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of all that is left, read back: begin, size and checksum of each document."""
+    import public_tokenizers
+
+    return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_texts),
+    ("source mix", mix),
+    ("token binary", tokenize),
+]
+
+#: Learned scores, classes of links and a library's tokens: no SQL; tested by brute force.
+ORACLE_SQL = None
+
 
-    return table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the ``documents`` table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_classes
 from .quality_rules import quality
 from .secret_scan import BASE, scan_secrets
 from .source_mix import mix_sources
+from .suffix_dedup import remove_repeats
 from .token_binary import token_binary
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -47,6 +48,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_token_binary, op4_toxicity, op5_jaccard_join, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_token_binary, op4_toxicity, op5_jaccard_join, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
