@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .jaccard_join import jaccard_classes
+from .oracles import ORACLE_SQL
 from .quality_rules import quality
 from .secret_scan import BASE, scan_secrets
 from .source_mix import mix_sources
@@ -82,4 +83,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_token_binary, op4_toxicity, op5_jaccard_join, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

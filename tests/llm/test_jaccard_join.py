@@ -53,7 +53,7 @@ def test_matches_brute_force(spark, block, monkeypatch):
 
 def test_small_tiles_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 5)
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 1_000_000)
+    monkeypatch.setattr(jaccard_join, "RARE", 3)
     rows = corpus(2, 20)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in jaccard_classes(df).collect()) == brute(rows)
