@@ -22,33 +22,39 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, sliced, stage
 from .shingles import Powers, shingle_sets
 
-#: At most so many shingles are ranked last as frequent ones: bounds what each task gets.
-FREQUENT = 50_000
-#: Tiles beyond this many nodes are not compared pair by pair but become one class.
-TILE = 256
+#: At most so many shingles are ranked last as frequent ones (1.6 MB sent to each task), and
+#: none that fewer prefixes hold than RARE.
+FREQUENT, RARE = 200_000, 64
+#: Tiles beyond this many nodes are not compared pair by pair but become one coarse class.
+TILE = 2048
 #: Nodes of a block in the exact step, and pivots that all blocks of a class share.
 BLOCK, PIVOTS = 4096, 64
 
 
+def width(n: int) -> int:
+    """Bits of the signature of n members: a power of two, 2 to 4 a member, at least 64."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
 def bitmap(hashes: np.ndarray) -> int:
-    """A set's signature: 4 to 8 bits a member, at least 64, at positions given by hashes."""
-    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
-    bits = np.zeros(width, dtype=np.uint8)
-    bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
+    """A set's signature: one bit for each member, at the place that its hash gives."""
+    bits = np.zeros(width(len(hashes)), dtype=np.uint8)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fold(bits: int, width: int, to: int) -> int:
+def fold(bits: int, wide: int, to: int) -> int:
     """The signature of the same set at a smaller width."""
-    while width > to:
-        width //= 2
-        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    while wide > to:
+        wide //= 2
+        bits = (bits >> wide) | (bits & ((1 << wide) - 1))
     return bits
 
 
@@ -56,7 +62,7 @@ def admits(n: int, m: int, bits_n: int, bits_m: int, percent: int) -> bool:
     """Whether sizes and bit counts allow the similarity."""
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    a, b = max(64, 1 << (4 * n - 1).bit_length()), max(64, 1 << (4 * m - 1).bit_length())
+    a, b = width(n), width(m)
     apart = (fold(bits_n, a, min(a, b)) ^ fold(bits_m, b, min(a, b))).bit_count()
     return (100 + percent) * ((n + m - apart) // 2) >= percent * (n + m)
 
@@ -71,10 +77,10 @@ def exact_classes(sets: list[np.ndarray], percent: int, labels: np.ndarray | Non
     label = np.arange(n) if labels is None else np.unique(labels, return_inverse=True)[1]
     if n < 2:
         return label
-    width = max(64, 1 << (8 * int(np.median(size)) - 1).bit_length())
-    signs = np.zeros((n, width // 64), dtype=np.uint64)
+    wide = width(4 * int(np.median(size)))
+    signs = np.zeros((n, wide // 64), dtype=np.uint64)
     for i, s in enumerate(sets):
-        at = s & np.uint64(width - 1)
+        at = s & np.uint64(wide - 1)
         np.bitwise_or.at(signs[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     flat, begin = np.concatenate(sets), np.r_[0, np.cumsum(size)]
     done = np.zeros(n, dtype=bool)
@@ -132,6 +138,19 @@ def _runs(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _banded(t: pa.Table, percent: int) -> list[pa.RecordBatch]:
+    """Of rows sorted by key, size and node: each node once, if its key has one of like size."""
+    if not t.num_rows:
+        return []
+    t = t.combine_chunks()
+    keys, nodes = t.column("key").to_numpy(), t.column("node").combine_chunks()
+    again = (keys[1:] == keys[:-1]) & pc.equal(nodes[1:], nodes[:-1]).to_numpy(zero_copy_only=False)
+    t = t.filter(pa.array(np.r_[True, ~again]))
+    keys, size, hot = t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("hot").to_numpy()
+    near = (keys[1:] == keys[:-1]) & (100 * size[:-1] >= percent * size[1:])
+    return t.filter(pa.array(np.r_[False, near] | np.r_[near, False] | hot)).combine_chunks().to_batches()
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -156,27 +175,26 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
                 node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 size.append(n)
                 prefix.append(s[: _prefix(n, percent)].tobytes() if n else b"")
-                bits.append(bitmap(s).to_bytes(max(64, 1 << (4 * n - 1).bit_length()) // 8, "little") if n else b"")
+                bits.append(bitmap(s).to_bytes(width(n) // 8, "little") if n else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=[key, "node", "n_shingles", "prefix", "bits"])
 
     rows = stage(docs.select(key, text).mapInArrow(describe, f"`{key}` {kind}, node binary, n_shingles bigint, prefix binary, bits binary"), "jaccard")
     nodes = rows.where("node is not null").dropDuplicates(["node"])
 
-    def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64), return_counts=True)
-            often = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["key", "n"])
 
     # Which shingles are frequent decides only their rank, and any rank is exact.
     total = nodes.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
-    often = nodes.select("prefix").mapInArrow(repeated, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > max(TILE, total // FREQUENT))
+    often = nodes.select("prefix").mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > max(RARE, total // FREQUENT))
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.select("key").collect()], dtype=np.int64).view(np.uint64)))
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen, last = Powers(), set(), frequent.value
         for batch in sliced(batches, 2000):
-            key_, node_, hot_ = [], [], []
+            key_, node_, hot_, size_ = [], [], [], []
             for s in shingle_sets(batch.column(0), k, powers):
                 if not len(s) or (node := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
                     continue
@@ -187,32 +205,26 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
                 key_.append(s[order])
                 hot_.append(late[order])
                 node_ += [node] * p
+                size_ += [len(s)] * p
             if node_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key_).view(np.int64)), pa.array(node_, pa.binary()), pa.array(np.concatenate(hot_))], names=["key", "node", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key_).view(np.int64)), pa.array(node_, pa.binary()), pa.array(size_, pa.int32()), pa.array(np.concatenate(hot_))], names=["key", "node", "n", "hot"])
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows, the frequent ones and those whose key has two nodes or more."""
+        """Of sorted rows, the frequent ones and those whose key has another node in their size band."""
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             keys = t.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             held, t = t.slice(cut), t.slice(0, cut)
-            yield from _several(t)
+            yield from _banded(t, percent)
         if held is not None:
-            yield from _several(held)
-
-    def _several(t: pa.Table) -> list[pa.RecordBatch]:
-        if not t.num_rows:
-            return []
-        keys, hot = t.column("key").to_numpy(), t.column("hot").to_numpy()
-        same = keys[1:] == keys[:-1]
-        keep = np.r_[False, same] | np.r_[same, False] | hot
-        return t.filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from _banded(held, percent)
 
     route = F.when(F.col("hot"), F.xxhash64("node")).otherwise(F.col("key"))
-    dealt = docs.select(text).mapInArrow(prefixes, "key bigint, node binary, hot boolean").repartition(route).sortWithinPartitions("key", "node")
-    pairs = stage(dealt.mapInArrow(shared, "key bigint, node binary, hot boolean"), "jaccard").dropDuplicates(["key", "node"])
+    fields = "key bigint, node binary, n int, hot boolean"
+    dealt = docs.select(text).mapInArrow(prefixes, fields).repartition(route).sortWithinPartitions("key", "n", "node")
+    pairs = stage(dealt.mapInArrow(shared, fields), "jaccard")
 
     def tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key"):

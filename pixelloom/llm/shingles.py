@@ -87,6 +87,6 @@ def shingle_sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarra
             if b - a >= k:
                 yield np.unique(sums[a : b - k + 1])
             elif b > a:
-                yield mix(np.array([(words[a:b] * _PLACES[: b - a]).sum() + _PLACES[32 + b - a]], dtype=np.uint64))
+                yield mix((words[a:b] * _PLACES[: b - a]).sum(keepdims=True) + _PLACES[32 + b - a])
             else:
                 yield np.zeros(0, np.uint64)
