@@ -21,6 +21,9 @@ from .decontaminate import let
 SPACES = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Bits of a packed number that hold a window's place; longer texts are counted by words alone.
+PLACE_BITS = 20
+PLACES = (1 << PLACE_BITS) - 1
 #: Thresholds tried for each statistic; conditions of a rule; rules of a list.
 BINS, CONDITIONS, LIST = 32, 3, 12
 #: A rule must reject this share of bad texts among what it covers, apart from its training rows.
@@ -31,37 +34,54 @@ def _without(text: Column, signs: str) -> Column:
     return F.length(text) - F.length(F.translate(text, signs, ""))
 
 
-def _repeated(words: Column) -> Column:
-    """Words in three-word windows that stand twice or more in the text."""
-    n = F.size(words)
+def _neighbours(sorted_: Column) -> Column:
+    """Places (low bits) of sorted keys that share their high bits with a neighbour."""
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(sorted_, F.lit(1), F.size(sorted_) - 1))
+    pairs = F.zip_with(sorted_, before, lambda x, y: F.when(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.struct(x.bitwiseAND(PLACES).cast("int").alias("i"), y.bitwiseAND(PLACES).cast("int").alias("j"))))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
-    def count(sorted_: Column) -> Column:
-        # Windows by hash, then place: equal neighbours are repeats.
-        before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(sorted_, F.lit(1), F.size(sorted_) - 1))
-        after = F.concat(F.slice(sorted_, F.lit(2), F.size(sorted_)), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-        near = F.zip_with(F.zip_with(sorted_, before, lambda x, y: F.struct(x.alias("x"), (x["h"] == y["h"]).alias("b"))), after, lambda p, y: F.when(F.coalesce(p["b"], F.lit(False)) | F.coalesce(p["x"]["h"] == y["h"], F.lit(False)), p["x"]["i"]))
-        places = F.array_sort(F.filter(near, lambda x: x.isNotNull()))
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-        return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.lit(3) - F.greatest(F.lit(0), a["upto"] - p)).alias("n"), (p + 3).alias("upto")))["n"]
 
-    def windows(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(count(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))))
+def _covered(places: Column) -> Column:
+    """Words in three-word windows at ascending places."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + 3 - F.greatest(F.lit(0), a["upto"] - p)).alias("n"), (p + 3).alias("upto")))["n"]
 
-    return F.when(n < 4, F.lit(0)).otherwise(windows(words))
 
+def _window_equal(w: Column, i: Column, j: Column) -> Column:
+    return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
 
-def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``mark`` (the text's hash) and the counted statistics of every row."""
-    t = F.coalesce(F.col(text), F.lit(""))
 
-    def counted(w: Column) -> Column:
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), _repeated(w).cast("bigint").alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct_words"))
+def _by_strings(w: Column) -> Column:
+    """Repeated windows' places by comparing the words themselves (no hash)."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+
+    def places(s: Column) -> Column:
+        after = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.array(x["i"], y["i"])))
+        return F.array_sort(F.array_distinct(F.flatten(F.filter(after, lambda x: x.isNotNull()))))
+
+    return let(F.array_sort(windows), places)
+
 
-    words = let(F.filter(F.split(t, GAP), lambda x: x != ""), counted)
-    lines = let(F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0), lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
-    row = docs.select(F.col(key).alias(key), F.xxhash64(F.col(text)).alias("mark"), words.alias("w"), lines.alias("l"), F.length(F.translate(t, SPACES, "")).cast("bigint").alias("word_chars"), _without(t, SYMBOLS).cast("bigint").alias("n_symbols"), _without(t, "0123456789").cast("bigint").alias("n_digits"), _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_capitals"), _without(t, ".,;:!?").cast("bigint").alias("n_marks"))
-    return row.select(key, "mark", "w.*", "l.*", "word_chars", "n_symbols", "n_digits", "n_capitals", "n_marks")
+def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``mark`` (the text's hash) and the counted statistics of every row.
+
+    Windows are found by hash and place packed in one number, sorted; equal hashes are
+    checked word by word, and a text where a check fails is counted by its words alone.
+    """
+    t = F.coalesce(F.col("t_"), F.lit(""))
+    bare = F.btrim(t, F.lit(SPACES))
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("t_"))
+    # Columns that later ones use more than once are computed once, in compiled projections.
+    rows = rows.select(key, F.xxhash64("t_").alias("mark"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP)).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("l"), F.length(F.translate(t, SPACES, "")).cast("bigint").alias("word_chars"), _without(t, SYMBOLS).cast("bigint").alias("n_symbols"), _without(t, "0123456789").cast("bigint").alias("n_digits"), _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_capitals"), _without(t, ".,;:!?").cast("bigint").alias("n_marks"))
+    last = F.size("w") - 3
+    packed = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)), PLACE_BITS) + i)
+    rows = rows.withColumn("s", F.when((F.size("w") >= 4) & (F.size("w") <= PLACES), F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("p", _neighbours(F.col("s"))).drop("s")
+    true = F.forall("p", lambda x: _window_equal(F.col("w"), x["i"], x["j"])) & (F.size("w") <= PLACES)
+    hashed = F.array_sort(F.array_distinct(F.concat(F.transform("p", lambda x: x["i"]), F.transform("p", lambda x: x["j"]))))
+    places = F.when(F.size("w") < 4, F.array().cast("array<int>")).when(true, hashed).otherwise(_by_strings(F.col("w")))
+    n = {"n_words": F.size("w"), "n_repeat_words": _covered(places), "n_distinct_words": F.size(F.array_distinct("w")), "n_lines": F.size("l"), "n_dup_lines": F.size("l") - F.size(F.array_distinct("l"))}
+    return rows.select(key, "mark", *[v.cast("bigint").alias(k) for k, v in n.items()], "word_chars", "n_symbols", "n_digits", "n_capitals", "n_marks")
 
 
 #: What conditions compare: rates, so that a threshold means the same for any length.
