@@ -17,6 +17,7 @@ Shards travel as a binary column of a Parquet table, so Spark's committer writes
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -139,7 +140,8 @@ class ChunkEncoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
-        self.odd = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+        #: White space that asks for the general split, and runs of the usual kind.
+        self.odd = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", "\n\n", "\n ", " \n"]
         self.spacing = re.compile(r"\s").search
         (self.line,) = self.library.encode("\n", add_special_tokens=False).ids
         self.alone: dict[str, bytes] = {}
@@ -152,11 +154,11 @@ class ChunkEncoder:
         return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, known: dict[str, bytes], before: str, chunks: set[str]) -> None:
-        fresh = chunks - known.keys()
-        lone = {c for c in fresh if self.spacing(c)}
+        fresh = chunks.difference(known)
+        lone = set() if before else {c for c in fresh if self.spacing(c)}
         known.update((c, self._whole(before + c)) for c in lone)
         tailed = {c for c in fresh if c[-2:-1].isalpha() and c[-1] in ".,;:!?"} - lone
-        plain = list((fresh - tailed - lone | {c[:-1] for c in tailed}) - known.keys())
+        plain = list((fresh - tailed - lone | {c[:-1] for c in tailed}).difference(known))
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self._bytes(self.library.encode_batch_fast(["\n".join([before + c for c in some])], add_special_tokens=False)[0].ids)
@@ -175,25 +177,54 @@ class ChunkEncoder:
         if not self.spaced:
             self.alone |= {"": b"", "\n": self._whole("\n")}
             self.spaced[""] = self._whole(" ")
+        # A plan is a list of finished bytes and of (first, rest) lines with new chunks.
         plans: list[list | None] = []
-        alone, spaced = set(), set()
+        alone, spaced, find = set(), set(), self.spaced.get
         for text in texts:
-            if any(s in text for s in self.special):
+            if any([s in text for s in self.special]):
                 plans.append(None)
                 continue
-            if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or not self.odd.isdisjoint(text):
-                lines = [(c, ()) for c in self.chunks(text)]
-            else:
-                lines = [(first, rest) for first, *rest in (x.split(" ") for x in text.split("\n"))]
-                lines = [x for line in lines for x in (line, ("\n", ()))][:-1]
-            plans.append(lines)
-            alone.update(first for first, _ in lines)
-            for _, rest in lines:
-                spaced.update([w for w in rest if w not in self.spaced])
+            plan: list = []
+            plans.append(plan)
+            if any([x in text for x in self.odd]):
+                plan += [(c, ()) for c in self.chunks(text)]
+                alone.update(c for c, _ in plan)
+                continue
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                if k:
+                    plan.append(self.alone["\n"])
+                if first not in self.alone:
+                    alone.add(first)
+                got = list(map(find, rest))
+                try:
+                    plan += [(first, ()), b"".join(got)]
+                except TypeError:  # one is missing
+                    spaced.update([w for w, g in zip(rest, got, strict=True) if g is None])
+                    plan.append((first, rest))
         self._learn(self.alone, "", alone)
         self._learn(self.spaced, " ", spaced)
         at, after = self.alone, self.spaced
-        return [self._whole(t) if p is None else b"".join([y for first, rest in p for y in (at[first], *map(after.__getitem__, rest))]) for t, p in zip(texts, plans, strict=True)]
+        done = []
+        for text, plan in zip(texts, plans, strict=True):
+            if plan is None:
+                done.append(self._whole(text))
+                continue
+            parts = []
+            for part in plan:
+                if isinstance(part, bytes):
+                    parts.append(part)
+                else:
+                    parts.append(at[part[0]])
+                    parts += map(after.__getitem__, part[1])
+            done.append(b"".join(parts))
+        return done
+
+
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process; the tasks that it runs share what it has learnt."""
+    return ChunkEncoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -207,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("shard_bytes", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         part, shard, keys, parts, held = 0, 0, [], [], 0
 
@@ -236,7 +267,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "
 
     key_type = to_arrow_type(docs.schema[key].dataType)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(key, text).repartitionByRange(n, F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    ranged = docs.select(key, text).repartitionByRange(n, F.col(key).asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
     return ordered.select(key, text, F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 
