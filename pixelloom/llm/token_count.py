@@ -8,6 +8,7 @@ sequence's lowest-rank pair at once, until no sequence has a pair left.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -123,7 +124,7 @@ class TokenCounter:
             else:
                 parts = self._parts(chunk)
             plans.append((chunk, extra, parts))
-        new = list({p for _, _, parts in plans for p in parts} - self.words.keys())
+        new = list({p for _, _, parts in plans for p in parts}.difference(self.words))
         # Short sequences need few rounds: words of like length go together.
         new.sort(key=len)
         for at in range(0, len(new), 20_000):
@@ -134,13 +135,19 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.chunks(t) if self.odd(t) else t.split() for t in texts]
-        fresh = {c for s in split for c in s} - self.known.keys()
+        fresh = {c for s in split for c in s}.difference(self.known)
         if fresh:
             self._learn(fresh)
         known = self.known
         return [sum([known[c] for c in s]) for s in split]
 
 
+@functools.lru_cache(maxsize=2)
+def worker_counter(path: str) -> TokenCounter:
+    """The counter of this worker process; the tasks that it runs share what it has learnt."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -152,7 +159,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer)
+        counter = worker_counter(tokenizer)
         for batch in sliced(batches, 1000):
             raw = utf8(batch.column(1))
             n = pa.array(counter.count([r.decode() for r in raw]), pa.int64())
