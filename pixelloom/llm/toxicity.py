@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: fixed lexicons, lexicons found among labelled texts,
-patterns, one that says a text looks clean, and the annotators' label itself. A
+patterns, and the annotators' label itself (that others are silent tells too). A
 generative label model, fitted by expectation maximisation, estimates how often each
 voter speaks for either class, and which voters err together: those are joined and vote as
 one. Its posterior labels train a linear classifier over words and word beginnings,
@@ -59,34 +59,45 @@ def text_words(text: str) -> set[str]:
 
 
 class LabelModel:
-    """Class-conditional vote tables of groups of dependent voters, fitted by EM."""
+    """Class-conditional vote tables of groups of dependent voters, fitted by EM.
+
+    A voter (or a group as a whole) that abstains says nothing about the class: a text
+    with none of a lexicon's words may be toxic in another language. The last voter always
+    speaks; it gives the share of class 1 and starts out as TRUST says, as if seen in as
+    many rows again, so that the classes keep their meaning.
+    """
+
+    #: Chance that the last voter says class 1, of rows of class 0 and 1.
+    TRUST = (0.001, 0.99)
 
     def __init__(self, rounds: int = 60, together: float = 0.3, most: int = 4):
         self.rounds, self.together, self.most = rounds, together, most
 
     def _fit(self, states: list[np.ndarray], sizes: list[int], start: np.ndarray) -> np.ndarray:
-        post = start
+        post, last = start, len(states) - 1
+        share = np.clip((states[-1] == 2).mean(), 1e-6, 1 - 1e-6)
         for _ in range(self.rounds):
-            share = np.array([1 - post.mean(), post.mean()]).clip(1e-6)
-            log = np.tile(np.log(share), (len(post), 1))
+            odds = np.full(len(post), np.log(share / (1 - share)))
             self.tables = []
-            for s, n in zip(states, sizes, strict=True):
+            for j, (s, n) in enumerate(zip(states, sizes, strict=True)):
                 t = np.stack([np.bincount(s, 1 - post, n) + 0.1, np.bincount(s, post, n) + 0.1])
+                if j == last:
+                    seen, trust = t.sum(axis=1), np.array(self.TRUST)
+                    t[:, 2] += trust * seen
+                    t[:, 0] += (1 - trust) * seen
                 t /= t.sum(axis=1, keepdims=True)
                 self.tables.append(t)
-                log += np.log(t[:, s]).T
-            new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+                says = np.log(t[1] / t[0])
+                says[n // 2] = 0.0  # the state of abstention, 1 in base three in every place
+                odds += says[s]
+            new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             if np.abs(new - post).max() < 1e-6:
                 return new
             post = new
         return post
 
     def fit(self, votes: np.ndarray) -> np.ndarray:
-        """Posterior of class 1 from votes (rows x voters, -1, 0 or 1).
-
-        The last voter, who always speaks, gives the start; its accuracy is estimated
-        like that of all others.
-        """
+        """Posterior of class 1 from votes (rows x voters, -1, 0 or 1)."""
         rows, voters = votes.shape
         start = np.where(votes[:, -1] > 0, 0.9, 0.05)
         single = [votes[:, j] + 1 for j in range(voters)]
@@ -99,7 +110,7 @@ class LabelModel:
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         self.correlation = (rest.T @ rest / max(rows, 1)) / np.outer(spread, spread)
         group = list(range(voters))
-        pairs = sorted(((-abs(self.correlation[i, j]), i, j) for i in range(voters) for j in range(i) if abs(self.correlation[i, j]) > self.together and spread[i] > 1e-3 and spread[j] > 1e-3))
+        pairs = sorted(((-abs(self.correlation[i, j]), i, j) for i in range(voters - 1) for j in range(i) if abs(self.correlation[i, j]) > self.together and spread[i] > 1e-3 and spread[j] > 1e-3))
         for _, i, j in pairs:
             a, b = group[i], group[j]
             if a != b and sum(g in (a, b) for g in group) <= self.most:
@@ -150,7 +161,7 @@ class ToxicityModel:
                 words = text_words(text or "")
                 if len(known) > HELD:
                     known.clear()
-                for w in words - known.keys():
+                for w in words.difference(known):
                     known[w] = sum(weights.get(f, 0.0) for f in word_features(w))
                 z = bias + sum([known[w] for w in words])
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
@@ -210,7 +221,7 @@ def fit_toxicity(docs: DataFrame, taught: DataFrame, text: str = "text", key: st
     fixed = {k: set(v.split()) for k, v in LEXICONS.items()}
     patterns = [re.compile(p) for p in PATTERNS.values()]
     found_voters = len(family) * len(STEPS)
-    voters = found_voters + len(fixed) + len(patterns) + 2
+    voters = found_voters + len(fixed) + len(patterns) + 1
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 500):
@@ -228,7 +239,6 @@ def fit_toxicity(docs: DataFrame, taught: DataFrame, text: str = "text", key: st
                     v[found_voters + j] = 1 if words & lexicon else 0
                 for j, p in enumerate(patterns):
                     v[found_voters + len(fixed) + j] = 1 if p.search(t or "") else 0
-                v[-2] = -1 if not v.any() else 0
                 v[-1] = 1 if y else -1
                 votes_.append(v.tobytes())
                 at_.append(list(times.keys()))
