@@ -36,7 +36,7 @@ def _without(text: Column, signs: str) -> Column:
 
 def _neighbours(sorted_: Column) -> Column:
     """Places (low bits) of sorted keys that share their high bits with a neighbour."""
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(sorted_, F.lit(1), F.size(sorted_) - 1))
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(sorted_, F.lit(1), F.greatest(F.lit(0), F.size(sorted_) - 1)))
     pairs = F.zip_with(sorted_, before, lambda x, y: F.when(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.struct(x.bitwiseAND(PLACES).cast("int").alias("i"), y.bitwiseAND(PLACES).cast("int").alias("j"))))
     return F.filter(pairs, lambda p: p.isNotNull())
 
