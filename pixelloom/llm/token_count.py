@@ -110,10 +110,6 @@ class TokenCounter:
         return self.pieces(chunk)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
         plans = []
         for chunk in chunks:
             extra, parts = 0, []
@@ -134,6 +130,10 @@ class TokenCounter:
             self.known[chunk] = extra + sum(self.words[p] for p in parts)
 
     def count(self, texts: list[str]) -> list[int]:
+        # Before what is new is told, so that nothing this batch needs is forgotten.
+        for memory in (self.known, self.words):
+            if len(memory) > CACHE:
+                memory.clear()
         split = [self.chunks(t) if self.odd(t) else t.split() for t in texts]
         fresh = {c for s in split for c in s}.difference(self.known)
         if fresh:

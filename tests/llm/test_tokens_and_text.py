@@ -31,6 +31,15 @@ def test_counts_are_the_librarys(spark, docs, monkeypatch):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 100), t[:20]
 
 
+def test_counter_forgets_between_batches_only(monkeypatch):
+    monkeypatch.setattr(token_count, "CACHE", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_count.TokenCounter(path)
+    for batch in (["one two", "two"], ["two three four"], ["five six one", ""], ["one two three"]):
+        assert counter.count(batch) == [len(library.encode(t, add_special_tokens=False).ids) for t in batch]
+        assert len(counter.known) <= 3 + len({c for t in batch for c in t.split()})
+
+
 @pytest.mark.parametrize("shard", [2_000_000, 5])
 def test_binary_round_trip(spark, docs, monkeypatch, shard):
     monkeypatch.setattr(token_binary, "SHARD_IDS", shard)
