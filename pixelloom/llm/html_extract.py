@@ -44,6 +44,8 @@ NAME = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、»«”“]")
 #: Of the best path's fused ratio: a path from here on is content.
 THRESHOLD = 0.15
+#: Factor of paths outside of every article and main element.
+UNNAMED = 0.5
 
 
 class Page:
@@ -163,6 +165,23 @@ def path_scores(nodes: list[tuple[int, tuple[str, ...], tuple[int, ...], str]])
     return score
 
 
+def headings_of_chosen(nodes: list[tuple[int, tuple[str, ...], tuple[int, ...], str]], keep: set[int]) -> set[int]:
+    """Nodes of headings that chosen text follows before a heading of the same or a higher rank."""
+    found: set[int] = set()
+    waiting: list[tuple[str, int, list[int]]] = []  # rank, element, nodes
+    for node in nodes:
+        rank, element = next(((x.split(".")[0], e) for x, e in zip(node[1], node[2], strict=True) if x.split(".")[0] in HEADINGS), ("", 0))
+        if rank:
+            if not waiting or waiting[-1][1] != element:
+                waiting = [w for w in waiting if w[0] < rank]
+                waiting.append((rank, element, []))
+            waiting[-1][2].append(id(node))
+        elif id(node) in keep:
+            found.update(x for w in waiting for x in w[2])
+            waiting = []
+    return found
+
+
 def main_text(source: str | None) -> str:
     """The article of one page: blocks in page order, one to a line; empty if none."""
     nodes = Page(source or "").nodes
@@ -170,10 +189,12 @@ def main_text(source: str | None) -> str:
     score = path_scores(nodes)
     if not score:
         return ""
-    least = THRESHOLD * max(score.values())
-    chosen = [n for n in nodes if n[3].strip() and score.get(n[1], 0.0) >= least]
-    # The smallest element that holds most of the chosen text; all of it is content if
-    # the page names it as the article, else what is chosen and the headings among it.
+    # Being named as the article is one more signal: text outside of it must score higher.
+    fused = {p: v if any(x.split(".")[0] in ("article", "main") for x in p) else v * UNNAMED for p, v in score.items()}
+    least = THRESHOLD * max(fused.values())
+    chosen = [n for n in nodes if n[3].strip() and fused.get(n[1], 0.0) >= least]
+    # The smallest element that holds most of the chosen text: the page's article if it
+    # names one. Of what the ratios leave, only headings and inline parts of chosen blocks stay.
     mass: dict[int, int] = defaultdict(int)
     label: dict[int, str] = {}
     for _, path, chain, text in chosen:
@@ -184,11 +205,20 @@ def main_text(source: str | None) -> str:
     named = [e for e in mass if label[e].split(".")[0] in ("article", "main") and 2 * mass[e] >= whole]
     zone = max(named or [e for e in mass if 10 * mass[e] >= 9 * whole], default=0)
     keep = {id(n) for n in chosen}
+    blocks = {n[0] for n in chosen}
+
+    def inline_of_chosen(node: tuple[int, tuple[str, ...], tuple[int, ...], str]) -> bool:
+        path = node[1]
+        while path and path[-1].split(".")[0] in INLINE:
+            path = path[:-1]
+        return len(path) < len(node[1]) and (node[0] in blocks or fused.get(path, 0.0) >= least)
+
+    kept_heading = headings_of_chosen(nodes, keep)
     out, block, parts = [], None, []
     for node in nodes:
         at, path, chain, text = node
         inside = zone in chain or not zone
-        wanted = inside and (named or id(node) in keep or not text.strip() or path[-1].split(".")[0] in HEADINGS or any(x.split(".")[0] in INLINE for x in path[-1:]))
+        wanted = inside and (id(node) in keep or not text.strip() or id(node) in kept_heading or inline_of_chosen(node))
         if not wanted:
             continue
         if at != block:

@@ -86,6 +86,17 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+PROSE = "A long paragraph of the article, with commas, and with enough words to count; it goes on for a while."
+
+
+def test_ratios_decide_inside_an_article():
+    links = "".join(f"<li><a href='/{i}'>Another story {i}</a></li>" for i in range(6))
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><h2>Part</h2><p>{PROSE} <b>Bold</b> end.</p><p><a href='/x'>Short link</a></p><div class='zq'><div><div><h2>More stories</h2><ul>{links}</ul></div></div></div></article>"
+    assert main_text(page) == f"Title\n{PROSE}\nPart\n{PROSE} Bold end.\nShort link"
+    main = f"<main><article><h1>Title</h1>{f'<p>{PROSE}</p>' * 4}</article><div class='zq'><span>Deals</span><span>Shop</span></div></main>"
+    assert main_text(main) == "Title\n" + "\n".join([PROSE] * 4)
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x, y.</p>", "")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_text(df).collect()}
