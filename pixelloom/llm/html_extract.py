@@ -193,17 +193,17 @@ def main_text(source: str | None) -> str:
     fused = {p: v if any(x.split(".")[0] in ("article", "main") for x in p) else v * UNNAMED for p, v in score.items()}
     least = THRESHOLD * max(fused.values())
     chosen = [n for n in nodes if n[3].strip() and fused.get(n[1], 0.0) >= least]
-    # The smallest element that holds most of the chosen text: the page's article if it
-    # names one. Of what the ratios leave, only headings and inline parts of chosen blocks stay.
+    # All that is chosen stays, wherever it stands. Besides it, only inline parts of chosen
+    # blocks and headings: those in an article or main with chosen text, or else in the
+    # smallest element that holds all chosen text.
     mass: dict[int, int] = defaultdict(int)
-    label: dict[int, str] = {}
-    for _, path, chain, text in chosen:
+    articles: set[int] = set()
+    for _, path, chain, _ in chosen:
         for name, element in zip(path, chain, strict=True):
-            mass[element] += len(text.strip())
-            label[element] = name
-    whole = sum(len(n[3].strip()) for n in chosen)
-    named = [e for e in mass if label[e].split(".")[0] in ("article", "main") and 2 * mass[e] >= whole]
-    zone = max(named or [e for e in mass if 10 * mass[e] >= 9 * whole], default=0)
+            mass[element] += 1
+            if name.split(".")[0] in ("article", "main"):
+                articles.add(element)
+    zone = max((e for e in mass if mass[e] == len(chosen)), default=0)
     keep = {id(n) for n in chosen}
     blocks = {n[0] for n in chosen}
 
@@ -217,8 +217,8 @@ def main_text(source: str | None) -> str:
     out, block, parts = [], None, []
     for node in nodes:
         at, path, chain, text = node
-        inside = zone in chain or not zone
-        wanted = inside and (id(node) in keep or not text.strip() or id(node) in kept_heading or inline_of_chosen(node))
+        inside = zone in chain or not zone or not articles.isdisjoint(chain)
+        wanted = id(node) in keep or (inside and (not text.strip() or id(node) in kept_heading or inline_of_chosen(node)))
         if not wanted:
             continue
         if at != block:

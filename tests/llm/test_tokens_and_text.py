@@ -97,6 +97,21 @@ def test_ratios_decide_inside_an_article():
     assert main_text(main) == "Title\n" + "\n".join([PROSE] * 4)
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<main><h1>Title</h1><p>Lead. {PROSE}</p><article>{f'<p>{PROSE}</p>' * 3}</article></main>", ["Title", f"Lead. {PROSE}", *[PROSE] * 3]),
+        (f"<main><article>{f'<p>{PROSE}</p>' * 3}</article><article><h2>Second</h2><p>Other. {PROSE}</p></article></main>", [*[PROSE] * 3, "Second", f"Other. {PROSE}"]),
+        (f"<body><article><p>First. {PROSE}</p></article><article>{f'<p>{PROSE}</p>' * 3}</article></body>", [f"First. {PROSE}", *[PROSE] * 3]),
+        (f"<main><h1>Title</h1><article>{f'<p>{PROSE}</p>' * 3}</article><p>Last. {PROSE}</p></main>", ["Title", *[PROSE] * 3, f"Last. {PROSE}"]),
+        (f"<body><div class='x'><p>Lead. {PROSE}</p></div><div class='y'>{f'<p>{PROSE}</p>' * 12}</div><div class='z'><p>Last. {PROSE}</p></div></body>", [f"Lead. {PROSE}", *[PROSE] * 12, f"Last. {PROSE}"]),
+        (f"<body><p>Lead. {PROSE}</p><article>{f'<p>{PROSE}</p>' * 3}</article><ul><li><a href='/'>Home</a></li></ul></body>", [f"Lead. {PROSE}", *[PROSE] * 3]),
+    ],
+)
+def test_chosen_text_stays_wherever_it_stands(page, want):
+    assert main_text(page) == "\n".join(want)
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x, y.</p>", "")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_text(df).collect()}
