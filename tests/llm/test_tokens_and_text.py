@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pixelloom.llm import token_binary, token_count
-from pixelloom.llm.html_extract import extract_text, main_text
+from pixelloom.llm.html_extract import Page, extract_text, main_text, path_scores
 from pixelloom.llm.token_binary import EliasFano, pack, read_shards, unpack, write_shards
 from pixelloom.llm.token_count import token_counts
 from pixelloom.llm.toxicity import LabelModel, held_out, toxicity
@@ -112,6 +112,34 @@ def test_chosen_text_stays_wherever_it_stands(page, want):
     assert main_text(page) == "\n".join(want)
 
 
+def test_paths_are_smoothed_at_any_number():
+    def page(n):
+        return "<body><div>" + "".join(f"<p class='c{i}'>{PROSE if i % 2 else 'So it is'}</p>" for i in range(n)) + "</div></body>"
+
+    for n in (20, 399, 401, 3000):
+        assert main_text(page(n)).split("\n") == [PROSE if i % 2 else "So it is" for i in range(n)]
+
+
+def test_path_scores_weigh_all_pairs():
+    r = random.Random(5)
+    for deep in (3, 9, 70):
+        nodes = [(0, tuple(r.choices("xya", k=r.randrange(deep))), (), r.choice(["word", "One, two. Three!", "ab " * 30])) for _ in range(120)]
+        sums = defaultdict(lambda: np.zeros(3))
+        for _, path, _, text in nodes:
+            bare = text.strip()
+            share = 0.1 if "a" in path else 1.0
+            sums[path] += [len(bare) * share, sum(c in ".,!" for c in bare) * share, 1]
+        got = path_scores(nodes)
+        assert set(got) == set(sums)
+        for p in sums:
+            total = np.zeros(3)
+            for q, v in sums.items():
+                same = next((i for i, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+                total += np.exp(-((len(p) + len(q) - 2 * same) ** 2) / 4.0) * v
+            assert got[p] == pytest.approx(np.sqrt(total[0] / total[2] * (total[1] / total[2] + 0.1)), rel=1e-9)
+    assert path_scores(Page("").nodes) == {}
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x, y.</p>", "")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_text(df).collect()}
