@@ -25,6 +25,12 @@ def byte_histogram(df: DataFrame, text: str = "text") -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "b")))
 
 
+def alphabets(df: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """Distinct bytes and all bytes of each group's whole texts: group, symbols, bytes."""
+    counts = df.select(group, F.explode(text_bytes(F.col(text))).alias("b")).groupBy(group, "b").agg(F.count("*").alias("n"))
+    return counts.groupBy(group).agg(F.count("*").alias("symbols"), F.sum("n").alias("bytes"))
+
+
 def character_entropy(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shannon entropy of a text's characters in bits."""
     signs = df.select(key, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))

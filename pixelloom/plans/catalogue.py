@@ -235,6 +235,12 @@ def huffman_alphabets(spark, sf_dir):
     return counts.groupBy("lang").agg(F.count("*").alias("symbols"), F.sum("n").alias("bytes"))
 
 
+@query("WITH h AS (SELECT lang, ('0x' || p)::INT AS b, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS p FROM documents) GROUP BY 1, 2) SELECT lang, count(*) AS symbols, sum(n)::BIGINT AS bytes FROM h GROUP BY 1")
+def huffman_alphabets_whole(spark, sf_dir):
+    """As ``huffman_alphabets``, of whole texts."""
+    return signal.alphabets(_table(spark, sf_dir, "documents"), "lang")
+
+
 @query(None)
 def huffman_code_tables(spark, sf_dir):
     """Whole-text code tables of each language: the greedy merge is no SQL."""
