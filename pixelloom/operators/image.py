@@ -106,9 +106,15 @@ def vp8_idct4(block: Column) -> Column:
 
 
 def transform4(df: DataFrame, kind, key: str = "vec_id", column: str = "q") -> DataFrame:
-    """A 4x4 inverse transform of the first 16 samples less 128: key, i, out."""
-    first = F.transform(F.slice(column, 1, 16), lambda v: v - 128)
-    return df.select(key, F.posexplode(B.let(first, kind)).alias("i", "out"))
+    """A 4x4 inverse transform of every 16 samples less 128: key, block, i, out.
+
+    Samples past the last multiple of 16 fill a block with 0 after them.
+    """
+    n = F.ceil(F.size(column) / 16).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    filled = F.transform(starts, lambda k: F.transform(F.sequence(k * 16, k * 16 + 15), lambda i: F.coalesce(F.get(F.col(column), i) - 128, F.lit(0))))
+    each = df.select(key, F.posexplode(filled).alias("block", "s"))
+    return each.select(key, "block", F.posexplode(B.let(F.col("s"), kind)).alias("i", "out"))
 
 
 def scan_zigzag(df: DataFrame, key: str = "vec_id", column: str = "q") -> DataFrame:

@@ -85,12 +85,26 @@ def _long(name: str, source: str, outs: list[str], out: str) -> str:
     return f"{name} AS (" + " UNION ALL ".join(f"SELECT vec_id, l, {k} AS p, {e} AS {out} FROM {source}" for k, e in enumerate(outs)) + ")"
 
 
+def _first4(spark, sf_dir, kind) -> DataFrame:
+    """The first block of every vector, which is what the SQL of the three queries states; ``_all4`` has all."""
+    return image.transform4(_blocks(spark, sf_dir), kind).where("block = 0").drop("block")
+
+
+def _all4(spark, sf_dir, kind) -> DataFrame:
+    return image.transform4(_blocks(spark, sf_dir), kind).withColumn("out", F.col("out").cast("long"))
+
+
+def _all4_sql(steps: list[str], last: list[str]) -> str:
+    place = "p AS (SELECT vec_id * 4 + i // 16 AS vec_id, i % 16 // 4 AS y, i % 4 AS x, v - 128 AS v FROM px)"
+    return f"WITH {_PX}, {place}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', steps, 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', last, 'o')} SELECT vec_id // 4 AS vec_id, (vec_id % 4)::INT AS block, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d"
+
+
 _WHT = ["v0 + v3 + v1 + v2", "v1 - v2 + v0 - v3", "v0 + v3 - v1 - v2", "v0 - v3 - v1 + v2"]
 
 
 @query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _WHT, 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', [f'({e} + 3) >> 3' for e in _WHT], 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
 def iwht4x4(spark, sf_dir):
-    return image.transform4(_blocks(spark, sf_dir), image.inverse_wht4).select("vec_id", "i", F.col("out").cast("long").alias("out"))
+    return _first4(spark, sf_dir, image.inverse_wht4).withColumn("out", F.col("out").cast("long"))
 
 
 _DST = [[29, 74, 84, 55], [55, 74, -29, -84], [74, 0, -74, 74], [84, -74, 55, -29]]
@@ -102,7 +116,7 @@ def _dst(shift: int) -> list[str]:
 
 @query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _dst(7), 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', _dst(12), 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
 def idst4x4(spark, sf_dir):
-    return image.transform4(_blocks(spark, sf_dir), image.inverse_dst4)
+    return _first4(spark, sf_dir, image.inverse_dst4)
 
 
 def _m1(v: str) -> str:
@@ -118,7 +132,22 @@ _VP8 = [f"v0 + v2 + {_m1('v1')} + {_m2('v3')}", f"v0 - v2 + {_m2('v1')} - {_m1('
 
 @query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _VP8, 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', [f'({e} + 4) >> 3' for e in _VP8], 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
 def idct4x4_vp8(spark, sf_dir):
-    return image.transform4(_blocks(spark, sf_dir), image.vp8_idct4)
+    return _first4(spark, sf_dir, image.vp8_idct4)
+
+
+@query(_all4_sql(_WHT, [f"({e} + 3) >> 3" for e in _WHT]))
+def iwht4x4_blocks(spark, sf_dir):
+    return _all4(spark, sf_dir, image.inverse_wht4)
+
+
+@query(_all4_sql(_dst(7), _dst(12)))
+def idst4x4_blocks(spark, sf_dir):
+    return _all4(spark, sf_dir, image.inverse_dst4)
+
+
+@query(_all4_sql(_VP8, [f"({e} + 4) >> 3" for e in _VP8]))
+def idct4x4_vp8_blocks(spark, sf_dir):
+    return _all4(spark, sf_dir, image.vp8_idct4)
 
 
 @query(f"WITH {_PX}, {_ZIGZAG} SELECT vec_id, z, v::INT AS v FROM px JOIN zz USING (i)")

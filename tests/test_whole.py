@@ -1,6 +1,6 @@
 """Operators and queries take whole texts, vectors and tables."""
 
-from pixelloom.operators import signal
+from pixelloom.operators import image, signal
 from pixelloom.plans import catalogue
 
 
@@ -13,3 +13,21 @@ def test_alphabets_query_reads_every_byte(spark):
     sf = "/root/testdata/sf0.001"
     total = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
     assert sum(r.bytes for r in catalogue.QUERIES["huffman_alphabets_whole"](spark, sf).collect()) == total
+
+
+def test_every_block_of_a_vector_is_transformed(spark):
+    flat = [128 + 8 * k for k in range(4) for _ in range(16)]
+    df = spark.createDataFrame([(1, flat), (2, flat[16:32]), (3, flat[:16] + [136]), (4, []), (5, None)], "vec_id long, q array<int>")
+    got = {}
+    for r in image.transform4(df, image.vp8_idct4).collect():
+        got.setdefault((r.vec_id, r.block), {})[r.i] = r.out
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1)} and all(len(x) == 16 for x in got.values())
+    assert got[1, 1] == got[2, 0] and got[1, 0] == got[3, 0] and set(got[1, 0].values()) == {0}
+    assert got[1, 3] != got[1, 1] and set(got[3, 1].values()) == {1}
+
+
+def test_blocks_queries_give_every_sample(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    for name in ("iwht4x4_blocks", "idst4x4_blocks", "idct4x4_vp8_blocks"):
+        assert catalogue.QUERIES[name](spark, sf).count() == n
