@@ -160,6 +160,15 @@ def leb128_length(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
 
 
+def tile_scan(df: DataFrame, key: str, width: int = 64, tile: int = 16) -> DataFrame:
+    """Addresses of ``width`` x ``width`` blocks in tile order, each picture by itself: key, picture, address."""
+    k, area = F.col(key), width * width
+    place = F.pmod(k, F.lit(area))
+    cells = df.select(key, F.expr(f"(`{key}` - pmod(`{key}`, {area})) div {area}").alias("picture"), F.pmod(place, F.lit(width)).alias("x_"), F.floor(place / width).alias("y_"))
+    order = Window.partitionBy("picture").orderBy(F.floor(F.col("y_") / tile), F.floor(F.col("x_") / tile), "y_", "x_", key)
+    return cells.select(key, "picture", (F.row_number().over(order).cast("long") - 1).alias("address"))
+
+
 def log2_floor(value: Column) -> Column:
     return F.length(F.bin(value)) - 1
 

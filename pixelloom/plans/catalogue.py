@@ -257,6 +257,13 @@ def canonical_huffman_codes(spark, sf_dir):
     return signal.kraft_codes(keys, "k", "len")
 
 
+@query("WITH ln AS (SELECT n_nationkey AS k, least(8, 3 + n_nationkey // 4) AS len FROM nation), t AS (SELECT *, max(len) OVER () AS top FROM ln), s AS (SELECT k, len, top, coalesce(sum(1::BIGINT << (top - len)) OVER (ORDER BY len, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT k, len, before >> (top - len) AS code FROM s")
+def canonical_huffman_codes_all(spark, sf_dir):
+    """As ``canonical_huffman_codes``, for every nation: lengths of 3 to 8 bits satisfy Kraft's sum for 25."""
+    keys = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.least(F.lit(8), 3 + F.floor(F.col("n_nationkey") / 4)).cast("int").alias("len"))
+    return signal.kraft_codes(keys, "k", "len")
+
+
 @query("WITH h AS (SELECT lang, ('0x' || p)::INT AS b, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(substr(text, 1, 20))), '..')) AS p FROM documents) GROUP BY 1, 2) SELECT lang, count(*) AS symbols, sum(n)::BIGINT AS bytes FROM h GROUP BY 1")
 def huffman_alphabets(spark, sf_dir):
     heads = _table(spark, sf_dir, "documents").select("lang", F.explode(signal.text_bytes(F.substring("text", 1, 20))).alias("b"))
@@ -443,6 +450,12 @@ def vlc_category(spark, sf_dir):
     return _table(spark, sf_dir, "customer").where("abs(c_acctbal) >= 1").select("c_custkey", signal.magnitude_category(F.col("c_acctbal").cast("long")).cast("int").alias("bits"))
 
 
+@query("SELECT c_custkey, CASE WHEN abs(c_acctbal) < 1 THEN 0 ELSE length(bin(abs(trunc(c_acctbal)::BIGINT))) END::INT AS bits FROM customer")
+def vlc_category_all(spark, sf_dir):
+    """As ``vlc_category``, with the balances of category 0."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", signal.magnitude_category(F.col("c_acctbal").cast("long")).cast("int").alias("bits"))
+
+
 @query("SELECT o_orderkey, greatest(1, ceil(length(bin(o_orderkey)) / 7.0))::INT AS n_bytes FROM orders")
 def leb128_length(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", signal.leb128_length(F.col("o_orderkey")).alias("n_bytes"))
@@ -490,6 +503,12 @@ def adler32(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", signal.adler32(F.col("text")).alias("adler"))
 
 
+@query("WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS p FROM documents), l AS (SELECT doc_id, len(p) AS n, unnest(list_transform(p, lambda x: ('0x' || x)::BIGINT)) AS v, unnest(range(len(p))) AS k FROM b WHERE len(p) > 0) SELECT doc_id, (((max(n) + sum((n - k) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM l GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN p IS NOT NULL THEN 1 END FROM b WHERE coalesce(len(p), 0) = 0")
+def adler32_all(spark, sf_dir):
+    """As ``adler32``, with empty texts, whose value is 1."""
+    return _table(spark, sf_dir, "documents").select("doc_id", signal.adler32(F.col("text")).alias("adler"))
+
+
 @query(None)
 def crc32_documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
@@ -507,3 +526,9 @@ def tile_scan_address(spark, sf_dir):
     cells = _table(spark, sf_dir, "orders").where("o_orderkey < 4096").select("o_orderkey", F.pmod(k, F.lit(64)).alias("x"), F.pmod(F.floor(k / 64), F.lit(64)).alias("y"))
     order = Window.orderBy(F.floor(F.col("y") / 16), F.floor(F.col("x") / 16), "y", "x", "o_orderkey")
     return cells.select("o_orderkey", (F.row_number().over(order).cast("long") - 1).alias("address"))
+
+
+@query("WITH k AS (SELECT o_orderkey, o_orderkey // 4096 AS picture, (o_orderkey % 64)::INT AS x, ((o_orderkey // 64) % 64)::INT AS y FROM orders) SELECT o_orderkey, picture, row_number() OVER (PARTITION BY picture ORDER BY y // 16, x // 16, y, x, o_orderkey)::BIGINT - 1 AS address FROM k")
+def tile_scan_address_pictures(spark, sf_dir):
+    """As ``tile_scan_address``, for every order: each 4096 keys are a picture of 64x64 blocks with addresses of its own."""
+    return signal.tile_scan(_table(spark, sf_dir, "orders"), "o_orderkey")

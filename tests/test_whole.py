@@ -31,3 +31,23 @@ def test_blocks_queries_give_every_sample(spark):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
     for name in ("iwht4x4_blocks", "idst4x4_blocks", "idct4x4_vp8_blocks"):
         assert catalogue.QUERIES[name](spark, sf).count() == n
+
+
+def test_every_order_has_an_address(spark):
+    df = spark.createDataFrame([(k,) for k in (0, 1, 16, 64, 4095, 4096, 4097, 10**10)], "k long")
+    got = {r.k: (r.picture, r.address) for r in signal.tile_scan(df, "k").collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 64: (0, 2), 16: (0, 3), 4095: (0, 4), 4096: (1, 0), 4097: (1, 1), 10**10: (10**10 // 4096, 0)}
+
+
+def test_filters_leave_no_row_out(spark, tmp_path):
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put([(1, 0.6), (2, -0.4), (3, 0.0), (4, -1.5), (5, 700.0)], "c_custkey long, c_acctbal double", "customer")
+    put([(1, ""), (2, "a"), (3, None)], "doc_id long, text string", "documents")
+    put([(k,) for k in range(25)], "n_nationkey int", "nation")
+    rows = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert rows("vlc_category_all") == {(1, 0), (2, 0), (3, 0), (4, 1), (5, 10)}
+    assert rows("adler32_all") == {(1, 1), (2, 98 * 65536 + 98), (3, None)}
+    codes = rows("canonical_huffman_codes_all")
+    assert len(codes) == 25 and sum(2.0**-n for _, n, _ in codes) <= 1
+    bits = [f"{c:0{n}b}" for _, n, c in codes]
+    assert all(len(b) == n for b, (_, n, _) in zip(bits, codes, strict=True)) and not any(a != b and b.startswith(a) for a in bits for b in bits)
