@@ -16,30 +16,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+#: Spark's setting that frees shuffle files when the job that wrote them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is made only where the session names none, as in local tests.
+    A folder of our own is made only for a local session that names none, as in tests; on a
+    cluster executors would not see it, so there an unset folder is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    local = spark.sparkContext.getCheckpointDir()
-    if local is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pixelloom-"))
-        local = spark.sparkContext.getCheckpointDir()
-    return local.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        _OWN[app] = tempfile.mkdtemp(prefix="pixelloom-")
+    return _OWN[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only tasks of the running job, and later
-    jobs read columns of the written table instead of computing it again.
+    jobs read columns of the written table instead of computing it again. The shuffle files
+    of the job are freed at its end.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later job reads."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -75,7 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e, before = stage(e, "cc"), None
     while True:
-        e = stage(star(star(e, True).distinct(), False).where("a > b").distinct(), "cc")
+        last, e = e, stage(star(star(e, True).distinct(), False).where("a > b").distinct(), "cc")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

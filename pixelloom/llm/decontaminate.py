@@ -28,8 +28,9 @@ BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 WINDOW, SHINGLE = 10, 5
 #: Shingles or windows of the benchmark that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Words of 64 bits in the bitmap: at least, at most (2 MB), and bits for each shingle.
-BITMAP_WORDS, BITMAP_MOST, BITMAP_BITS = 1 << 8, 1 << 18, 32
+#: Words of 64 bits in the bitmap: at least, at most (8 MB), and bits for each shingle. A shingle
+#: sets two of them, so one word in 65,000 passes by chance.
+BITMAP_WORDS, BITMAP_MOST, BITMAP_BITS = 1 << 8, 1 << 20, 512
 
 
 def words(text: Column) -> Column:
@@ -66,12 +67,18 @@ def _windows(benchmark: DataFrame, window: int, text: str, item: str) -> DataFra
     return stage(distinct.select(F.monotonically_increasing_id().alias("wid"), "length", F.least("length", F.lit(SHINGLE)).alias("step"), "span", "items"), "bench")
 
 
+def _probes(h: Column, size: int) -> list[tuple[Column, Column]]:
+    """Word and bit of the places of a hash in the bitmap, from different parts of it."""
+    return [(F.shiftrightunsigned(h, a).bitwiseAND(F.lit(size - 1)).cast("int"), F.shiftrightunsigned(h, b).bitwiseAND(F.lit(63)).cast("int")) for a, b in ((0, 20), (26, 46))]
+
+
 def _bitmap(parts: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """One row: an array of 64-bit words in which each shingle's hash has set a bit."""
+    """One row: an array of 64-bit words in which each shingle's hash has set its bits."""
     size = BITMAP_WORDS
     while size < BITMAP_MOST and size * 64 < count * BITMAP_BITS:
         size *= 2
-    bits = parts.groupBy(F.pmod("h", F.lit(size)).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("bits"))
+    places = parts.select("h").distinct().select(F.explode(F.array(*[F.struct(a.alias("at"), b.alias("bit")) for a, b in _probes(F.col("h"), size)])).alias("p"))
+    bits = places.groupBy("p.at").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
     every = parts.sparkSession.range(size).select(F.col("id").cast("int").alias("at"))
     # A row for each word of the bitmap: BITMAP_MOST at most.
     dense = every.join(bits, "at", "left").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("b"))
@@ -87,7 +94,11 @@ def _found(docs: DataFrame, parts: DataFrame, text: str, key: str) -> DataFrame:
 
     def admitted(step: int) -> Column:
         def bit(i: Column) -> Column:
-            return let(_hash(F.col("w"), i, step), lambda h: F.call_function("shiftright", F.get(F.col("b"), F.pmod(h, F.lit(size)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            def test(h: Column) -> Column:
+                first, second = (F.call_function("shiftright", F.get(F.col("b"), at), n).bitwiseAND(F.lit(1)) == 1 for at, n in _probes(h, size))
+                return first & second
+
+            return let(_hash(F.col("w"), i, step), test)
 
         return F.transform(F.filter(_places(F.col("w"), step), bit), lambda i: F.struct(i.alias("pos"), _hash(F.col("w"), i, step).alias("h")))
 
