@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sliced, stage
+from .common import components, discard, sliced, stage
 from .shingles import Powers, shingle_sets
 
 #: At most so many shingles are ranked last as frequent ones (1.6 MB sent to each task), and
@@ -155,13 +155,17 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id", block: int = BLOCK, marks: bool = False) -> DataFrame:
     """``key, n_shingles, component_id`` of every row; links need ``percent`` similarity.
 
+    With ``marks`` also ``mark``, the text's hash, and ``class``, which names the class itself
+    (null for a text without words): rows of one key may be of different classes.
+
     ``component_id`` is the smallest key reachable by links. A null or empty text or one
     without words has 0 shingles and its own key. Rows that repeat a text, or a key, are
     each returned; a null key stays null and is never a component's smallest unless alone.
-    Texts of any length are taken whole; other columns are not read.
+    An empty table gives an empty result. Texts of any length are taken whole; other
+    columns, of any name, are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -176,9 +180,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
                 size.append(n)
                 prefix.append(s[: _prefix(n, percent)].tobytes() if n else b"")
                 bits.append(bitmap(s).to_bytes(width(n) // 8, "little") if n else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=[key, "node", "n_shingles", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["id", "mark", "node", "n_shingles", "prefix", "bits"])
 
-    rows = stage(docs.select(key, text).mapInArrow(describe, f"`{key}` {kind}, node binary, n_shingles bigint, prefix binary, bits binary"), "jaccard")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text_"), F.xxhash64(F.col(text)).alias("mark"))
+    rows = stage(texts.mapInArrow(describe, f"id {kind}, mark bigint, node binary, n_shingles bigint, prefix binary, bits binary"), "jaccard")
     nodes = rows.where("node is not null").dropDuplicates(["node"])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +258,16 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     cold = pairs.where("not hot").select("key", "node").join(rows.where("node is not null").select("node", "n_shingles", "bits").dropDuplicates(["node"]), "node")
     tiled = cold.repartition("key").sortWithinPartitions("key", "n_shingles", "node").mapInArrow(tiles, "a binary, b binary")
     starred = pairs.where("hot").select(F.col("node").alias("a"), F.concat(F.lit(b"hot:"), F.unhex(F.lpad(F.hex("key"), 16, "0")), F.lit(b"....")).alias("b"))
-    coarse = components(stage(tiled.union(starred), "jaccard"))
+    near = stage(tiled.union(starred), "jaccard")
+    coarse = components(near)
+    discard(pairs, near)
 
     # The exact step: one text of each node in a coarse class of two or more.
-    named = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("id"))
-    asked = coarse.join(named, "node").select("node", "root", "id")
+    first = F.min(F.struct(F.col("id").isNull().alias("null_"), "id", "mark")).alias("f")
+    named = rows.where("node is not null").groupBy("node").agg(first).select("node", "f.id", "f.mark")
+    asked = coarse.join(named, "node").select("node", "root", F.col("id").alias("asked"), "mark")
     sizes = asked.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    asked = asked.join(sizes, "root").where("id is not null")
+    asked = asked.join(sizes, "root")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -267,11 +275,11 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
             sets = [s.tobytes() for s in shingle_sets(batch.column("text_"), k, powers)]
             own = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             t = pa.table([batch.column("node"), batch.column("root"), batch.column("n"), pa.array(sets, pa.binary())], names=["node", "root", "n", "hashes"])
-            # Where several rows have one key, those with another text do not count.
             yield from t.filter(pa.array([a == b for a, b in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())).to_batches()
 
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text_"))
-    sets = texts.join(asked, "id").select("text_", "node", "root", "n").mapInArrow(fetch, "node binary, root binary, n bigint, hashes binary").dropDuplicates(["node"])
+    # The same plan at every size: texts move once, to where their key is.
+    one = F.col("id").eqNullSafe(F.col("asked")) & (texts["mark"] == asked["mark"])
+    sets = texts.join(asked.hint("merge"), one).select("text_", "node", "root", "n").mapInArrow(fetch, "node binary, root binary, n bigint, hashes binary").dropDuplicates(["node"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     sets = stage(sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "jaccard")
     deal = "root binary, block int, node binary, hashes binary, `known` binary, pivot boolean"
@@ -316,8 +324,11 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     found = components(links)
     classes = named.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("least"))
-    placed = classes.join(least, "root").select("node", "least")
-    return rows.select(key, "node", "n_shingles").join(placed, "node", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"))
+    placed = classes.join(least, "root").select("node", "least", "root")
+    out = rows.select("id", "mark", "node", "n_shingles").join(placed, "node", "left")
+    out = stage(out.select(F.col("id").alias(key), "n_shingles", F.coalesce("least", "id").alias("component_id"), "mark", F.col("root").alias("class")), "jaccard")
+    discard(rows, sets, links)
+    return out if marks else out.drop("mark", "class")
 
 
 def _runs_binary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -13,6 +13,11 @@ _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _SIGNS = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(20240502).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A prime modulus beside 2**64: texts made to collide modulo a power of two do not here.
+_PRIME = np.uint64((1 << 31) - 1)
+_BITS = np.uint64(31)
+_ROOT_P = 1_103_515_245
+_SIGNS_P = np.random.default_rng(20240503).integers(1, int(_PRIME), 256, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,7 +35,15 @@ class Powers:
     """Powers of the hash's root and of its inverse, grown as longer groups come."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.up = self.down = self.up_p = self.down_p = np.ones(1, dtype=np.uint64)
+
+    def modulo_prime(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same modulo the prime."""
+        while len(self.up_p) < n:
+            m = len(self.up_p)
+            more = (pow(x, m, int(_PRIME)) for x in (_ROOT_P, pow(_ROOT_P, -1, int(_PRIME))))
+            self.up_p, self.down_p = (np.r_[x, x * np.uint64(y) % _PRIME] for x, y in zip((self.up_p, self.down_p), more, strict=True))
+        return self.up_p[:n], self.down_p[:n]
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
@@ -69,8 +82,14 @@ def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers) -> tuple[
     begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers.upto(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_SIGNS[_LOWER[data]] * up, out=total[1:])
-    return mix((total[ends] - total[begins]) * down[begins]), np.searchsorted(borders, begins, side="right") - 1
+    low = _LOWER[data]
+    np.cumsum(_SIGNS[low] * up, out=total[1:])
+    first = mix((total[ends] - total[begins]) * down[begins])
+    up, down = powers.modulo_prime(len(data))
+    signs = _SIGNS_P[low] * up
+    np.cumsum((signs & _PRIME) + (signs >> _BITS), out=total[1:])
+    second = (total[ends] - total[begins]) % _PRIME * down[begins] % _PRIME
+    return mix(first + mix(second)), np.searchsorted(borders, begins, side="right") - 1
 
 
 def shingle_sets(column: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:

@@ -10,13 +10,12 @@ at most one fractional document that each group leaves goes up a reduction tree.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -70,8 +69,13 @@ def pivot(size: np.ndarray, part: np.ndarray, draw: np.random.Generator) -> np.n
     return out
 
 
+def size_of(text: str) -> Column:
+    """Words of a text; null has none."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``key, size, source_size, target, copies, taken`` of every row.
+    """``key, source, size, source_size, target, copies, taken`` of every row.
 
     ``taken`` is ``copies * size``. The same table, seed and options give the same rows,
     whatever the partitions. A null text has size 0 and takes 0 words (its copies are the
@@ -79,22 +83,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Frac
     are alike, so which of them gets a copy does not matter. An empty table gives an
     empty result. The driver holds a row per source, not per document.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = stage(docs.select(F.col(key).alias(key), F.col(source).alias("source_"), size.alias("size")), "mix")
+    sized = stage(docs.select(F.col(key).alias(key), F.col(source).alias("source_"), size_of(text).alias("size")), "mix")
     spark = docs.sparkSession
     found = sized.groupBy("source_").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets({r.source_: r.size for r in found}, weights, share, most)
     rows = []
-    for r in found:
+    # Sources are known by their place in code point order: no two are taken for one.
+    for at, r in enumerate(sorted(found, key=lambda r: (r.source_ is None, r.source_ or ""))):
         rate = goal[r.source_] / r.size if r.size else Fraction(0)
-        rows.append((r.source_, r.size, float(goal[r.source_]), int(rate), float(rate - int(rate)), -(-r.n // GROUP), zlib.crc32(repr((seed, r.source_)).encode())))
+        rows.append((r.source_, r.size, float(goal[r.source_]), int(rate), float(rate - int(rate)), -(-r.n // GROUP), at))
     plan = spark.createDataFrame(rows, "s string, source_size long, target double, whole int, part double, groups int, mark long")
-    level = sized.join(plan, F.col("source_").eqNullSafe(F.col("s"))).select(key, "size", "source_size", "target", "whole", "part", "mark", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("groups")).cast("int").alias("bucket"), "groups")
+    level = sized.join(plan, F.col("source_").eqNullSafe(F.col("s"))).select(key, "source_", "size", "source_size", "target", "whole", "part", "mark", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("groups")).cast("int").alias("bucket"), "groups")
     schema = level.schema
 
     def round_group(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([key, "size"], kind="stable", na_position="first").reset_index(drop=True)
-        draw = np.random.default_rng([int(names[0]), int(names[1]), int(names[2])])
+        draw = np.random.default_rng([seed, int(names[0]), int(names[1]), int(names[2])])
         rows["part"] = pivot(rows["size"].to_numpy(), rows["part"].to_numpy(), draw)
         if names[2] == 1:  # the only group of its source: its last document takes a chance
             loose = (rows["part"] > 0) & (rows["part"] < 1)
@@ -114,4 +118,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Frac
     for more in settled[1:]:
         out = out.union(more)
     copies = F.col("whole") + F.col("part").cast("int")
-    return out.select(key, "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(key, F.col("source_").alias(source), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -93,8 +92,14 @@ class TokenCounter:
     """Counts tokens of whole texts as the tokenizer file defines them."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # Only its tables of letters are used, and only for words beyond ASCII.
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
         self.merge = RankMerger(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE), regex.V0).findall
@@ -103,11 +108,12 @@ class TokenCounter:
         self.chunks = regex.compile(f"[^{SPACE}]+").findall
         self.odd = regex.compile(r"[\x1c-\x1f]").search
         self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
 
-    def _parts(self, chunk: str) -> list[str]:
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return self.pieces(chunk)
+    def _parts(self, chunk: str) -> list[bytes]:
+        if chunk.isascii():
+            return [p.encode() for p in self.pieces(chunk.lower())]
+        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.cut(self.normalize(chunk))]
 
     def _learn(self, chunks: set[str]) -> None:
         plans = []
@@ -125,7 +131,7 @@ class TokenCounter:
         new.sort(key=len)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            self.words.update(zip(some, self.merge.counts([w.encode() for w in some]).tolist(), strict=True))
+            self.words.update(zip(some, self.merge.counts(some).tolist(), strict=True))
         for chunk, extra, parts in plans:
             self.known[chunk] = extra + sum(self.words[p] for p in parts)
 

@@ -73,3 +73,26 @@ def test_exact_classes_many_singles():
     sets += [np.unique(np.r_[sets[3][:48], sets[4][:1]])]
     label = exact_classes(sets, 85)
     assert label[3] == label[90] and len(set(label.tolist())) == 90
+
+
+def test_words_made_to_collide(spark):
+    # Thue-Morse words: equal polynomial hashes modulo a power of two, whatever the base.
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " " + " ".join("w%d" % i for i in range(3))
+    df = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, a + tail + " ")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in jaccard_classes(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_texts_of_rows_without_key_link_others(spark):
+    w = ["w%d" % i for i in range(60)]
+    near = [" ".join(w), " ".join([*w[:57], "x", *w[58:]]), " ".join([*w[:50], "y", *w[51:57], "x", *w[58:]])]
+    df = spark.createDataFrame([(1, near[0]), (None, near[1]), (3, near[2])], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_classes(df, percent=80).collect()}
+    assert got[1] == got[None] == got[3] == 1
+
+
+def test_very_long_text(spark):
+    long = " ".join("w%d" % i for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2 w3 w4")], "doc_id long, text string")
+    assert sorted(tuple(x) for x in jaccard_classes(df).collect()) == [(1, 199_997, 1), (2, 199_998, 1), (3, 1, 3)]

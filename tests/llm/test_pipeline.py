@@ -52,3 +52,32 @@ def test_stages(spark, tmp_path):
         assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert sorted(x.doc_id for x in cp.run(spark, str(tmp_path)).collect()) == sorted(k for k, _ in mixed)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    w = ["w%d" % i for i in range(40)]
+    a, near, b = " ".join(w), " ".join([*w, "x"]), " ".join(x + "z" for x in w)
+    rows = [(7, a), (7, b), (9, near), (3, b + " y"), (None, a), (None, "only here"), (None, "only here"), (5, None), (5, ""), (8, a), (8, a)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], COLUMNS)
+    got = sorted(((x.doc_id is None, x.doc_id or 0), x.text or "") for x in cp.drop_near_duplicates(spark, df, "").collect())
+    assert got == [((False, 3), b + " y"), ((False, 5), ""), ((False, 5), ""), ((False, 7), a), ((True, 0), "only here")]
+
+
+def test_mix_of_repeated_ids(spark):
+    rows = [(i % 20, "a b c d"[: 1 + 2 * (i % 3)], "en", "s%d" % (i % 2), 0) for i in range(300)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    out = cp.mix(spark, df, "").collect()
+    want = {x.source: x.target for x in cp.mix_sources(df).collect()}
+    for s in ("s0", "s1"):
+        assert abs(sum(len(x.text.split()) for x in out if x.source == s) - want[s]) <= 4
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], COLUMNS)
+    for name, schema in (("documents", COLUMNS), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, step in cp.STAGES:
+        assert step(spark, none, str(tmp_path)).collect() == []

@@ -40,6 +40,16 @@ def test_counter_forgets_between_batches_only(monkeypatch):
         assert len(counter.known) <= 3 + len({c for t in batch for c in t.split()})
 
 
+def test_counts_of_every_letter():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_count.TokenCounter(path)
+    r, letters = random.Random(7), [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(x) for x in zip(letters, r.sample(letters, len(letters)))] + ["".join(r.choices(letters, k=4)) for _ in range(20_000)]
+    want = [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    got = counter.count(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 @pytest.mark.parametrize("shard", [2_000_000, 5])
 def test_binary_round_trip(spark, docs, monkeypatch, shard):
     monkeypatch.setattr(token_binary, "SHARD_IDS", shard)
