@@ -28,6 +28,8 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noframes xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements that stand in a line of text without ending its block.
+IN_LINE = INLINE | frozenset("audio button canvas img input iframe label link map area meter noscript object output picture progress script select source style svg template textarea track video".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul dd dt".split())
 CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "h1": {"h1"}, "h2": {"h2"}, "h3": {"h3"}}
 SCOPE = frozenset("table ul ol dl article section main aside div body html".split())
@@ -38,9 +40,12 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar rail footer colophon masthead comment comments commentlist discussion replies reply respond disqus "
     "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations trending widget toolbar pagination pager copyright disclaimer skip hidden".split()
 )
+# Words that go with such a name and leave its meaning (as in ad-box); any other word changes it (has-sidebar).
+NEUTRAL = frozenset("area bar block bottom box btn button container form global group head header heading holder icon inline inner item items left link links list main module outer page panel primary right row secondary section site slot text title top unit wrap wrapper".split())
 BODY = frozenset("article main content body entry post story text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、»«”“]")
 #: Of the best path's fused ratio: a path from here on is content.
 THRESHOLD = 0.15
@@ -94,11 +99,13 @@ class Page:
         out = out or (name == "header" and not inside)
         if attributes.strip():
             given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
-            names = set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}").lower()))
+            tokens = [set(NAME.findall(CAMEL.sub(r"\1-\2", x).lower())) for x in f"{given.get('class', '')} {given.get('id', '')}".split()]
+            names = set().union(*tokens)
+            named = any(x & NAMES and x <= NAMES | NEUTRAL for x in tokens)
             if given.get("class"):
                 label = f"{name}.{given['class'].split()[0] if given['class'].split() else ''}"
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""))
-            part = names & NAMES or ("header" in names and not inside and not names & BODY)
+            part = named or ("header" in names and not inside and not names & BODY)
             if name not in ("html", "body", "article", "main") and (part or given.get("role", "").lower() in ROLES or hidden):
                 out = True
         if name not in VOID:
@@ -122,7 +129,7 @@ class Page:
             if not name:
                 continue
             ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-            if name not in INLINE:
+            if name not in IN_LINE:
                 self.block += 1
             if ending:
                 self._close(name)

@@ -86,6 +86,9 @@ PAGES = [
     ("<header>Site</header><main><h2>Head</h2><p>Body text, long enough to count.</p><ul><li>item one<li>item two</ul><aside>Buy now, please.</aside></main><div class='sidebar'>Links, more.</div>", "Head\nBody text, long enough to count.\nitem one\nitem two"),
     ("<article><p>Read this, it is the text.</p><section id='comments'><p>Nice post, thanks. Really, great.</p></section><form>Mail <input></form></article><script>var t='</p>';</script><div class='cookie-notice'>We use cookies, sorry.</div>", "Read this, it is the text."),
     ("<body><div><p>No article tag here, but a long paragraph of text.</p><p>And another one, which is long too.</p></div><div class=ad>Buy it, now.</div><ul><li><a href=x>menu</a></li></ul>", "No article tag here, but a long paragraph of text.\nAnd another one, which is long too."),
+    ("<article><p>One, two <img src=x> three. <button>Buy</button> Four <svg><path/></svg>five.</p></article>", "One, two three. Four five."),
+    ("<div class='content has-sidebar'><p>The article stands in here, all of it.</p></div><div class='ad-box'>Buy, now.</div><footer>End.</footer>", "The article stands in here, all of it."),
+    ("<article><p>First line,<br>second line.</p></article>", "First line,\nsecond line."),
     ("<article><p>cut in an entity &am", "cut in an entity &am"),
     ("<article><p>cut in a tag, yes.<p cla", "cut in a tag, yes."),
 ]
