@@ -64,13 +64,13 @@ def _pass(block: Column, basis: Column, bits: int, n: int, across: bool, inverse
 def dct(block: Column, n: int = 8, bits: int = BITS) -> Column:
     """Forward cosine transform of a row-major block, rows first."""
     basis = constant(cosine_basis(n, bits))
-    return let(_pass(block, basis, bits, n, True, False), lambda b: _pass(b, basis, bits, n, False, False))
+    return let(block, lambda q: let(_pass(q, basis, bits, n, True, False), lambda b: _pass(b, basis, bits, n, False, False)))
 
 
 def idct(block: Column, n: int = 8, bits: int = BITS) -> Column:
     """Inverse cosine transform, columns first."""
     basis = constant(cosine_basis(n, bits))
-    return let(_pass(block, basis, bits, n, False, True), lambda b: _pass(b, basis, bits, n, True, True))
+    return let(block, lambda q: let(_pass(q, basis, bits, n, False, True), lambda b: _pass(b, basis, bits, n, True, True)))
 
 
 def matrix4(block: Column, matrix: Sequence[int], shift: int) -> Column:

@@ -29,11 +29,14 @@ def dct_lines(df: DataFrame, key: str = "vec_id", column: str = "q", n: int = 8)
     """One-dimensional transform of each line of a block: key, line, u, coef."""
     basis = B.constant(B.cosine_basis(n))
 
-    def at(i: Column) -> Column:
-        y, u = F.floor(i / n).cast("int"), F.pmod(i, F.lit(n)).cast("int")
-        return B.rounded(B.dot(n, lambda x: F.get(F.col(column), y * n + x) * F.get(basis, u * n + x)), B.BITS)
+    def lines(q: Column) -> Column:
+        def at(i: Column) -> Column:
+            y, u = F.floor(i / n).cast("int"), F.pmod(i, F.lit(n)).cast("int")
+            return B.rounded(B.dot(n, lambda x: F.get(q, y * n + x) * F.get(basis, u * n + x)), B.BITS)
+
+        return B.build(n * n, at)
 
-    flat = long_form(df.select(key, B.build(n * n, at).alias("c")), key, "c", "coef")
+    flat = long_form(df.select(key, B.let(F.col(column), lines).alias("c")), key, "c", "coef")
     return flat.select(key, F.floor(F.col("i") / n).cast("int").alias("line"), F.pmod("i", F.lit(n)).cast("int").alias("u"), "coef")
 
 

@@ -102,11 +102,6 @@ def _all4_sql(steps: list[str], last: list[str]) -> str:
 _WHT = ["v0 + v3 + v1 + v2", "v1 - v2 + v0 - v3", "v0 + v3 - v1 - v2", "v0 - v3 - v1 + v2"]
 
 
-@query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _WHT, 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', [f'({e} + 3) >> 3' for e in _WHT], 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
-def iwht4x4(spark, sf_dir):
-    return _first4(spark, sf_dir, image.inverse_wht4).withColumn("out", F.col("out").cast("long"))
-
-
 _DST = [[29, 74, 84, 55], [55, 74, -29, -84], [74, 0, -74, 74], [84, -74, 55, -29]]
 
 
@@ -114,11 +109,6 @@ def _dst(shift: int) -> list[str]:
     return [f"({' + '.join(f'v{k} * ({m})' for k, m in enumerate(row))} + {1 << (shift - 1)}) >> {shift}" for row in _DST]
 
 
-@query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _dst(7), 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', _dst(12), 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
-def idst4x4(spark, sf_dir):
-    return _first4(spark, sf_dir, image.inverse_dst4)
-
-
 def _m1(v: str) -> str:
     return f"({v} + (({v} * 20091) >> 16))"
 
@@ -130,11 +120,6 @@ def _m2(v: str) -> str:
 _VP8 = [f"v0 + v2 + {_m1('v1')} + {_m2('v3')}", f"v0 - v2 + {_m2('v1')} - {_m1('v3')}", f"v0 - v2 - {_m2('v1')} + {_m1('v3')}", f"v0 + v2 - {_m1('v1')} - {_m2('v3')}"]
 
 
-@query(f"WITH {_PX}, {_P16}, {_wide('a', 'p', 'x', 'y', 'v')}, {_long('b', 'a', _VP8, 'w')}, {_wide('c', 'b', 'p', 'l', 'w')}, {_long('d', 'c', [f'({e} + 4) >> 3' for e in _VP8], 'o')} SELECT vec_id, (l * 4 + p)::INT AS i, o::BIGINT AS out FROM d")
-def idct4x4_vp8(spark, sf_dir):
-    return _first4(spark, sf_dir, image.vp8_idct4)
-
-
 @query(_all4_sql(_WHT, [f"({e} + 3) >> 3" for e in _WHT]))
 def iwht4x4_blocks(spark, sf_dir):
     return _all4(spark, sf_dir, image.inverse_wht4)
@@ -251,29 +236,16 @@ def entropy_per_document(spark, sf_dir):
 _LENGTHS = "ln AS (SELECT n_nationkey AS k, least(7, 3 + n_nationkey // 4) AS len FROM nation WHERE n_nationkey < 20)"
 
 
-@query(f"WITH {_LENGTHS}, t AS (SELECT *, max(len) OVER () AS top FROM ln), s AS (SELECT k, len, top, coalesce(sum(1::BIGINT << (top - len)) OVER (ORDER BY len, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT k, len, before >> (top - len) AS code FROM s")
-def canonical_huffman_codes(spark, sf_dir):
-    keys = _table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), F.least(F.lit(7), 3 + F.floor(F.col("n_nationkey") / 4)).cast("int").alias("len"))
-    return signal.kraft_codes(keys, "k", "len")
-
-
 @query("WITH ln AS (SELECT n_nationkey AS k, least(8, 3 + n_nationkey // 4) AS len FROM nation), t AS (SELECT *, max(len) OVER () AS top FROM ln), s AS (SELECT k, len, top, coalesce(sum(1::BIGINT << (top - len)) OVER (ORDER BY len, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT k, len, before >> (top - len) AS code FROM s")
 def canonical_huffman_codes_all(spark, sf_dir):
-    """As ``canonical_huffman_codes``, for every nation: lengths of 3 to 8 bits satisfy Kraft's sum for 25."""
+    """Canonical codes of every nation: lengths of 3 to 8 bits satisfy Kraft's sum for 25."""
     keys = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.least(F.lit(8), 3 + F.floor(F.col("n_nationkey") / 4)).cast("int").alias("len"))
     return signal.kraft_codes(keys, "k", "len")
 
 
-@query("WITH h AS (SELECT lang, ('0x' || p)::INT AS b, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(substr(text, 1, 20))), '..')) AS p FROM documents) GROUP BY 1, 2) SELECT lang, count(*) AS symbols, sum(n)::BIGINT AS bytes FROM h GROUP BY 1")
-def huffman_alphabets(spark, sf_dir):
-    heads = _table(spark, sf_dir, "documents").select("lang", F.explode(signal.text_bytes(F.substring("text", 1, 20))).alias("b"))
-    counts = heads.groupBy("lang", "b").agg(F.count("*").alias("n"))
-    return counts.groupBy("lang").agg(F.count("*").alias("symbols"), F.sum("n").alias("bytes"))
-
-
 @query("WITH h AS (SELECT lang, ('0x' || p)::INT AS b, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS p FROM documents) GROUP BY 1, 2) SELECT lang, count(*) AS symbols, sum(n)::BIGINT AS bytes FROM h GROUP BY 1")
 def huffman_alphabets_whole(spark, sf_dir):
-    """As ``huffman_alphabets``, of whole texts."""
+    """Distinct and all bytes of each language's whole texts."""
     return signal.alphabets(_table(spark, sf_dir, "documents"), "lang")
 
 
@@ -445,14 +417,9 @@ def exp_golomb_length(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", signal.exp_golomb_length(k).cast("int").alias("ue_bits"), signal.exp_golomb_length(signal.signed_golomb(signed)).cast("int").alias("se_bits"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal::BIGINT = 0 THEN 0 ELSE length(bin(abs(trunc(c_acctbal)::BIGINT))) END::INT AS bits FROM customer WHERE abs(c_acctbal) >= 1")
-def vlc_category(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").where("abs(c_acctbal) >= 1").select("c_custkey", signal.magnitude_category(F.col("c_acctbal").cast("long")).cast("int").alias("bits"))
-
-
 @query("SELECT c_custkey, CASE WHEN abs(c_acctbal) < 1 THEN 0 ELSE length(bin(abs(trunc(c_acctbal)::BIGINT))) END::INT AS bits FROM customer")
 def vlc_category_all(spark, sf_dir):
-    """As ``vlc_category``, with the balances of category 0."""
+    """Magnitude categories of all balances, category 0 too."""
     return _table(spark, sf_dir, "customer").select("c_custkey", signal.magnitude_category(F.col("c_acctbal").cast("long")).cast("int").alias("bits"))
 
 
@@ -498,14 +465,9 @@ def srgb_curve(spark, sf_dir):
     return image.long_form(_blocks(spark, sf_dir), "vec_id", "q").select("vec_id", "i", F.round(curve, 6).alias("s"))
 
 
-@query("WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS p FROM documents), l AS (SELECT doc_id, len(p) AS n, unnest(list_transform(p, lambda x: ('0x' || x)::BIGINT)) AS v, unnest(range(len(p))) AS k FROM b WHERE len(p) > 0) SELECT doc_id, (((max(n) + sum((n - k) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM l GROUP BY doc_id")
-def adler32(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", signal.adler32(F.col("text")).alias("adler"))
-
-
 @query("WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS p FROM documents), l AS (SELECT doc_id, len(p) AS n, unnest(list_transform(p, lambda x: ('0x' || x)::BIGINT)) AS v, unnest(range(len(p))) AS k FROM b WHERE len(p) > 0) SELECT doc_id, (((max(n) + sum((n - k) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM l GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN p IS NOT NULL THEN 1 END FROM b WHERE coalesce(len(p), 0) = 0")
 def adler32_all(spark, sf_dir):
-    """As ``adler32``, with empty texts, whose value is 1."""
+    """Adler-32 of every text; that of an empty one is 1."""
     return _table(spark, sf_dir, "documents").select("doc_id", signal.adler32(F.col("text")).alias("adler"))
 
 
@@ -519,16 +481,7 @@ def bounded_queue(spark, sf_dir):
     return signal.bounded_queue(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "slot")
 
 
-@query("WITH k AS (SELECT o_orderkey, (o_orderkey % 64)::INT AS x, ((o_orderkey // 64) % 64)::INT AS y FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY y // 16, x // 16, y, x, o_orderkey)::BIGINT - 1 AS address FROM k WHERE o_orderkey < 4096")
-def tile_scan_address(spark, sf_dir):
-    k = F.col("o_orderkey")
-    # One picture of 64x64 blocks: its addresses are a bounded list.
-    cells = _table(spark, sf_dir, "orders").where("o_orderkey < 4096").select("o_orderkey", F.pmod(k, F.lit(64)).alias("x"), F.pmod(F.floor(k / 64), F.lit(64)).alias("y"))
-    order = Window.orderBy(F.floor(F.col("y") / 16), F.floor(F.col("x") / 16), "y", "x", "o_orderkey")
-    return cells.select("o_orderkey", (F.row_number().over(order).cast("long") - 1).alias("address"))
-
-
 @query("WITH k AS (SELECT o_orderkey, o_orderkey // 4096 AS picture, (o_orderkey % 64)::INT AS x, ((o_orderkey // 64) % 64)::INT AS y FROM orders) SELECT o_orderkey, picture, row_number() OVER (PARTITION BY picture ORDER BY y // 16, x // 16, y, x, o_orderkey)::BIGINT - 1 AS address FROM k")
 def tile_scan_address_pictures(spark, sf_dir):
-    """As ``tile_scan_address``, for every order: each 4096 keys are a picture of 64x64 blocks with addresses of its own."""
+    """Tile scan addresses of every order: each 4096 keys are a picture of 64x64 blocks with addresses of its own."""
     return signal.tile_scan(_table(spark, sf_dir, "orders"), "o_orderkey")
