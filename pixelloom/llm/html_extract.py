@@ -129,11 +129,12 @@ class Page:
             if not name:
                 continue
             ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-            if name not in IN_LINE:
-                self.block += 1
             if ending:
                 self._close(name)
-            else:
+            # What stands inside a part that is left out ends no block of the text around it.
+            if name not in IN_LINE and not (self._open and self._open[-1][3]):
+                self.block += 1
+            if not ending:
                 self._start(name, attributes)
                 if name in RAW and not attributes.rstrip().endswith("/"):
                     end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?|$", re.I).search(source, at)
