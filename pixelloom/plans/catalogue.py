@@ -74,9 +74,6 @@ def block_idct8x8_roundtrip(spark, sf_dir):
     return image.roundtrip_error(_blocks(spark, sf_dir))
 
 
-_P16 = "p AS (SELECT vec_id, i // 4 AS y, i % 4 AS x, v - 128 AS v FROM px WHERE i < 16)"
-
-
 def _wide(name: str, source: str, line: str, place: str, value: str) -> str:
     return f"{name} AS (SELECT vec_id, {line} AS l, " + ", ".join(f"max(CASE WHEN {place} = {k} THEN {value} END) AS v{k}" for k in range(4)) + f" FROM {source} GROUP BY vec_id, {line})"
 
@@ -85,11 +82,6 @@ def _long(name: str, source: str, outs: list[str], out: str) -> str:
     return f"{name} AS (" + " UNION ALL ".join(f"SELECT vec_id, l, {k} AS p, {e} AS {out} FROM {source}" for k, e in enumerate(outs)) + ")"
 
 
-def _first4(spark, sf_dir, kind) -> DataFrame:
-    """The first block of every vector, which is what the SQL of the three queries states; ``_all4`` has all."""
-    return image.transform4(_blocks(spark, sf_dir), kind).where("block = 0").drop("block")
-
-
 def _all4(spark, sf_dir, kind) -> DataFrame:
     return image.transform4(_blocks(spark, sf_dir), kind).withColumn("out", F.col("out").cast("long"))
 
@@ -153,7 +145,7 @@ def quantize_dequantize(spark, sf_dir):
     return image.quantised(_blocks(spark, sf_dir))
 
 
-_PLANES = f"{_PX}, pl AS (SELECT a.vec_id // 3 AS pic, a.i, a.v AS p0, b.v AS p1, c.v AS p2 FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.i = a.i JOIN px c ON c.vec_id = a.vec_id + 2 AND c.i = a.i WHERE a.vec_id % 3 = 0)"
+_PLANES = f"{_PX}, pl AS (SELECT vec_id // 3 AS pic, i, max(CASE WHEN vec_id % 3 = 0 THEN v END) AS p0, max(CASE WHEN vec_id % 3 = 1 THEN v END) AS p1, max(CASE WHEN vec_id % 3 = 2 THEN v END) AS p2 FROM px GROUP BY vec_id // 3, i HAVING count(*) = 3)"
 
 
 def _planes(spark, sf_dir) -> DataFrame:
@@ -194,7 +186,7 @@ def chroma_upsample(spark, sf_dir):
     return image.upsample(_blocks(spark, sf_dir))
 
 
-@query(f"WITH {_PX} SELECT a.vec_id, a.i, floor((a.v * b.v + (255 - b.v) * b.v) / 255.0::DOUBLE)::INT AS v FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.i = a.i WHERE a.vec_id % 2 = 0")
+@query(f"WITH {_PX}, pairs AS (SELECT vec_id // 2 * 2 AS vec_id, i, max(CASE WHEN vec_id % 2 = 0 THEN v END) AS f, max(CASE WHEN vec_id % 2 = 1 THEN v END) AS b FROM px GROUP BY vec_id // 2, i HAVING count(*) = 2) SELECT vec_id, i, floor((f * b + (255 - b) * b) / 255.0::DOUBLE)::INT AS v FROM pairs")
 def alpha_blend(spark, sf_dir):
     pairs = _blocks(spark, sf_dir).groupBy((F.col("vec_id") - F.pmod("vec_id", F.lit(2))).alias("vec_id")).agg(*[F.max(F.when(F.pmod("vec_id", F.lit(2)) == k, F.col("q"))).alias(n) for k, n in enumerate("fb")]).where("f IS NOT NULL AND b IS NOT NULL")
     return pairs.select("vec_id", F.posexplode(F.zip_with("f", "b", image.alpha_blend)).alias("i", "v"))
@@ -342,7 +334,7 @@ def dc_pred_mean(spark, sf_dir):
     return image.dc_prediction(_blocks(spark, sf_dir))
 
 
-@query(f"WITH {_PX} SELECT a.vec_id, a.i, greatest(0, least(255, l.v + t.v - c.v))::INT AS p FROM px a JOIN px l ON l.vec_id = a.vec_id AND l.y = a.y AND l.x = 0 JOIN px t ON t.vec_id = a.vec_id AND t.x = a.x AND t.y = 0 JOIN px c ON c.vec_id = a.vec_id AND c.i = 0")
+@query(f"WITH {_PX} SELECT vec_id, i, greatest(0, least(255, max(CASE WHEN x = 0 THEN v END) OVER (PARTITION BY vec_id, y) + max(CASE WHEN y = 0 THEN v END) OVER (PARTITION BY vec_id, x) - max(CASE WHEN i = 0 THEN v END) OVER (PARTITION BY vec_id)))::INT AS p FROM px")
 def true_motion_prediction(spark, sf_dir):
     return image.true_motion(_blocks(spark, sf_dir))
 
