@@ -18,6 +18,7 @@ Shards travel as a binary column of a Parquet table, so Spark's committer writes
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -172,9 +173,9 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, ``width`` bytes each."""
         if len(self.alone) + len(self.spaced) > CACHE:
-            self.alone.clear()
-            self.spaced.clear()
-        if not self.spaced:
+            # Frequent chunks are met, and so learnt, first: the older half stays.
+            self.alone, self.spaced = (dict(itertools.islice(d.items(), len(d) // 2)) for d in (self.alone, self.spaced))
+        if "\n" not in self.alone or "" not in self.spaced:
             self.alone |= {"": b"", "\n": self._whole("\n")}
             self.spaced[""] = self._whole(" ")
         # A plan is a list of finished bytes and of (first, rest) lines with new chunks.

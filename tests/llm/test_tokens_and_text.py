@@ -203,3 +203,15 @@ def test_toxicity_on_rows_held_out(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(x.predicted == 0 for x in toxicity(docs, none).collect())
     assert docs.select(held_out("doc_id")).count() == len(rows)
+
+
+def test_encoder_forgets_newer_chunks(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, r = Tokenizer.from_file(path), random.Random(9)
+    for most in (0, 1, 2, 3, 7, 40):
+        monkeypatch.setattr(token_binary, "CACHE", most)
+        encoder = token_binary.ChunkEncoder(path)
+        for _ in range(30):
+            texts = ["".join(r.choices(["a", "bb ", " c", "\n", " ", "it's ", "w%d " % r.randrange(50)], k=8)) for _ in range(4)]
+            want = [np.array(library.encode(t, add_special_tokens=False).ids, f"<u{encoder.width}").tobytes() for t in texts]
+            assert encoder.encode(texts) == want
